@@ -205,12 +205,13 @@ def near_copies(seed, groups=12):
     return rows
 
 
-@pytest.mark.parametrize("seed, frequent, limit", [(1, 200, 10), (2, 3, 10), (3, 3, 0.02)])
+@pytest.mark.parametrize("seed, frequent, limit", [(1, 200, 1000), (2, 3, 1000), (3, 3, 4)])
 def test_jaccard_classes_equal_brute_force(spark, monkeypatch, seed, frequent, limit):
     from shufflescope.llm import jaccard_join
 
     monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
     monkeypatch.setattr(jaccard_join, "PAIRS_PER_NODE", limit)
+    monkeypatch.setattr(jaccard_join, "PAIRS_ANYHOW", 0)
     rows = near_copies(seed) + [(None, "a b c"), (9000, None), (9001, ""), (9002, "A  b c"), (9002, "A  b c")]
     got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_classes(docs_of(spark, rows)).collect())
     want = [(a, b, c, -1 if d == 0 else d) for a, b, c, d in brute_classes(rows)]
