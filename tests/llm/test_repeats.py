@@ -128,3 +128,29 @@ def test_substring_dedup_equals_brute_force(spark):
     kept = {r.doc_id: r.text for r in texts.collect()}
     assert len(kept[0].encode()) == len(rows[0][1].encode()) and len(kept[1].encode()) <= len(rows[1][1].encode()) - removed[1] and kept[62] is None
     assert chunk_dedup.removals(docs_of(spark, [])).count() == 0
+
+
+def test_merged_transforms_find_what_brute_force_finds():
+    from shufflescope.llm import bwt
+
+    rnd = random.Random(7)
+    for trial in range(30):
+        length = rnd.choice([3, 8, 20])
+        base = "".join(rnd.choice("ab") for _ in range(60)).encode()
+        strings = [b"", b"a", base, base[5:50], b"ab" * 20] + ["".join(rnd.choice("abc") for _ in range(rnd.randint(0, 60))).encode() for _ in range(6)]
+        rnd.shuffle(strings)
+        cut = sorted(rnd.sample(range(1, len(strings)), trial % 4))
+        shards = [strings[a:b] for a, b in zip([0, *cut], [*cut, len(strings)], strict=True)]
+        seen = Counter(s[i : i + length] for s in strings for i in range(len(s) - length + 1))
+        want = {(k, i) for k, s in enumerate(strings) for i in range(len(s) - length + 1) if seen[s[i : i + length]] > 1}
+        assert bwt.repeated_starts(shards, length) == want
+
+
+def test_merged_transform_is_the_whole_ones():
+    from shufflescope.llm import bwt
+
+    rnd = random.Random(8)
+    strings = ["".join(rnd.choice("abc") for _ in range(30)).encode() for _ in range(6)]
+    merged, _ = bwt.merge(bwt.transform(strings[:2]), bwt.transform(strings[2:], 2), 40)
+    whole = bwt.transform(strings)
+    assert all((x == y).all() for x, y in zip(merged[:3], whole[:3], strict=True))
