@@ -25,7 +25,9 @@ from . import wordhash
 from .common import doc_batches, documents, record_batch, text_rows
 
 FOLDS, TRAIN_DOCS, EPOCHS = 5, 6000, 4
-ALPHA, BETA, L1, L2 = 0.15, 1.0, 1.5, 1.0
+ALPHA, BETA, L2 = 1.0, 1.0, 1.0
+#: L1 is this times the root of the number of documents, as the noise in a coordinate grows; weight of a toxic document.
+L1_RATE, POSITIVE = 0.2, 4.0
 #: Offsets of the words of a feature: words, pairs, pairs that skip one.
 GRAMS = ((0,), (0, 1), (0, 2))
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
@@ -48,19 +50,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 class Ftrl:
     """FTRL-proximal with a bias that carries no penalty; ``columns`` are the features it has seen, sorted."""
 
-    def __init__(self, columns: np.ndarray):
-        self.columns = columns
+    def __init__(self, columns: np.ndarray, l1: float):
+        self.columns, self.l1 = columns, l1
         self.z, self.n = np.zeros(len(columns) + 1), np.zeros(len(columns) + 1)
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        l1, l2 = np.where(at == len(self.columns), 0.0, L1), np.where(at == len(self.columns), 0.0, L2)
+        l1, l2 = np.where(at == len(self.columns), 0.0, self.l1), np.where(at == len(self.columns), 0.0, L2)
         rate = (BETA + np.sqrt(n)) / ALPHA + l2
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / rate)
 
     def learn(self, at: np.ndarray, label: float) -> None:
         w = self.weights(at)
-        error = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        error = (1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label) * (POSITIVE if label else 1.0)
         square = error * error
         n = self.n[at]
         self.z[at] += error - (np.sqrt(n + square) - np.sqrt(n)) / ALPHA * w
@@ -79,7 +81,7 @@ def train(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray,
         return np.empty(0, np.uint32), np.empty(0), -1e-9
     columns, counts = np.unique(np.concatenate([f for f, _ in rows]), return_counts=True)
     columns = columns[counts > 1]  # a feature of one document teaches nothing about others
-    model = Ftrl(columns)
+    model = Ftrl(columns, L1_RATE * len(rows) ** 0.5)
     inputs = []
     for f, label in rows:
         at = np.minimum(np.searchsorted(columns, f), max(0, len(columns) - 1))
