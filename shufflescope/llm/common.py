@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel works on at a time; bounds its temporary arrays.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,7 @@ def doc_batches(batches, limit: int = SLICE_BYTES):
             size += len(t)
         if ids:
             yield ids, texts
+    pa.default_memory_pool().release_unused()
 
 
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Entries of a worker's caches of pre-tokens and of space-delimited chunks; a full cache is begun anew.
-PRE_ENTRIES, CHUNK_ENTRIES = 600_000, 300_000
+PRE_ENTRIES, CHUNK_ENTRIES = 250_000, 120_000
 #: Longer pieces are encoded each time, so that a cache stays small.
 LONGEST_KEY = 48
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿĀ-įı-ſ"
