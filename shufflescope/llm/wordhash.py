@@ -8,8 +8,6 @@ import numpy as np
 
 U64 = np.uint64
 _RADIX = 0x9E3779B97F4A7C15
-#: Weights of the words of an n-gram, in order; odd, so no word is lost.
-_WEIGHTS = [U64((0xD6E8FEB86659FD93 * (2 * i + 1)) & (2**64 - 1) | 1) for i in range(16)]
 _SEP = np.zeros(256, bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: As _SEP, with ASCII punctuation, so that "word," is "word".
@@ -30,6 +28,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Weights of the words of an n-gram, in order; odd, so no word is lost, and without sums in common: a b b a is not b a a b.
+_WEIGHTS = mix((np.arange(16, dtype=U64) + U64(501)) * U64(_RADIX)) | U64(1)
+
+
 @functools.cache
 def _byte_table() -> np.ndarray:
     return mix((np.arange(256, dtype=U64) + U64(1)) * U64(_RADIX))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -158,8 +159,10 @@ def shingles_of(t):
 
 
 def test_shingle_hashes_count_as_the_shingles():
-    texts = ["", "a", "A b", "a b c d e", "a  b\tc\nd e f", "x " * 50, "é à\x0bü É", " lead and trail "]
+    texts = ["", "a", "A b", "a b c d e", "a  b\tc\nd e f", "x " * 50, "é à\x0bü É", " lead and trail ", *(" ".join(p) for p in itertools.product("ab", repeat=9))]
     assert [len(s) for s in wordhash.shingles(texts)] == [len(shingles_of(t)) for t in texts]
+    every = wordhash.shingles([" ".join(p) for p in itertools.product("abc", repeat=5)])
+    assert len(np.unique(np.concatenate(every))) == 3**5
     one, two = wordhash.shingles(["Ab c d e f g", "zz ab C d\ne f g h"])
     assert len(np.intersect1d(one, two)) == 2
 
