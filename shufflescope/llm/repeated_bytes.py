@@ -5,7 +5,8 @@ the ``SPREAD`` places from s (the last, if tied), so equal strings have their an
 starts mostly share one: some 64 bytes lie between anchors.  The starts of an anchor form an interval.
 
 - key: hash of the bytes from the anchor that all strings of its starts hold.  A key seen once rules them all out.
-- context: hash of everything that the strings of its starts hold.  Seen twice under a key, all its starts repeat.
+- context: 64-bit hash of everything that the strings of its starts hold.  Seen twice under a key, all its starts
+  repeat; key and context are 128 bits together, as one key may have a context for each document.
 - Where a key has several contexts (at the ends of repeated passages), one anchor of each context and every anchor
   whose context is unique name the hash of each of their starts' strings; a hash under two contexts repeats.
 
@@ -34,7 +35,7 @@ LENGTH, SPREAD = 400, 128
 _NULL = np.iinfo(np.int64).max
 #: doc keys of 16 bytes that may be broadcast: some 10 MB.
 BROADCAST_KEYS = 500_000
-_ANCHORS = pa.schema([("k", pa.int64()), ("e", pa.int32()), ("doc", pa.int64()), ("th", pa.int32()), ("idx", pa.int32())])
+_ANCHORS = pa.schema([("k", pa.int64()), ("e", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("idx", pa.int32())])
 _STARTS = pa.schema([("h1", pa.int64()), ("h2", pa.int32()), ("e", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("s", pa.int32()), ("ask", pa.bool_())])
 _OUT = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), ("kept_sha256", pa.string()), ("spans", pa.string())])
 
@@ -80,12 +81,12 @@ def _anchor_rows(batches):
             for i, (a, lo, hi) in enumerate(found):
                 k, e = _names(raw, a, lo, hi)
                 ks.append(k)
-                es.append(e >> 33)
+                es.append(e)
                 idx.append(i)
             docs += [doc] * len(found)
             ths += [th] * len(found)
         if ks:
-            yield record_batch(_ANCHORS, np.array(ks, np.uint64).view(np.int64), es, docs, ths, idx)
+            yield record_batch(_ANCHORS, *(np.array(x, np.uint64).view(np.int64) for x in (ks, es)), docs, ths, idx)
 
 
 def _start_rows(batches):
@@ -145,7 +146,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL))).alias("doc"), text.alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
 
-    found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "k long, e int, doc long, th int, idx int")
+    found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "k long, e long, doc long, th int, idx int")
     keys = found.groupBy("k").agg(F.count("*").alias("n"), F.min("e").alias("least"), F.max("e").alias("most")).where("n > 1")
     shared = materialize(found.join(keys.select("k", (F.col("least") < F.col("most")).alias("several")), "k"), "shared-anchors")
     place = F.xxhash64("doc", "th", "idx")
