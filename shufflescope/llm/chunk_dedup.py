@@ -1,12 +1,15 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
-The gear hash of the last 32 bytes cuts a text into chunks of ``LEAST`` to ``MOST`` bytes, some 56 on average; a cut
-depends on the bytes before it alone, so an insertion shifts chunks only next to it.  Chunks are deduplicated by a
-96-bit digest: the first occurrence stays (smallest doc_id, then position), later ones are repeats.  Only runs of
-neighbouring repeats of ``RUN`` bytes or more are removed, as short chunks of common words recur by chance.
+A text is cut where the gear hash of the last 16 bytes is the least of any ``MOST`` neighbouring places (the last, if
+tied), so chunks have ``LEAST`` to ``MOST`` bytes, some 28 on average.  A cut depends on the bytes around it alone: an
+insertion shifts chunks only next to it, and a shared passage has the same cuts but for its first MOST + 15 and last
+MOST - 1 bytes at most, whatever surrounds it.  Only where a short period repeats, ties are thinned out to some
+``THIN`` bytes from its start (a chunk beside them may be longer by as much).  Chunks are deduplicated by a 96-bit digest: the first occurrence stays (smallest
+doc_id, then position), later ones are repeats.  Only runs of neighbouring repeats of ``RUN`` bytes or more are
+removed, as short chunks of common words recur by chance, and documents of which every chunk repeats.
 
-The first place of a digest is found in two steps, first among its places with one of ``SALTS`` salts, then among
-these firsts; so a passage in a third of all documents is spread over ``SALTS`` tasks, and no join is needed.
+All places of a digest but the first are known to repeat within a slice of documents already, and go anywhere; so a
+passage in a third of all documents sends one row a slice to the task that finds the first of all.
 
 Null texts count as empty.  Rows with equal doc_id and text are one document with repeated output; rows of one doc_id
 with different texts are told apart by a hash of the text.  A null doc_id comes after all others.  Each input row gives
@@ -27,9 +30,9 @@ from pyspark.sql import types as T
 from . import wordhash
 from .common import doc_batches, documents, record_batch, text_rows
 
-LEAST, MOST, CUT_BITS, RUN, SALTS = 24, 512, 5, 128, 32
+LEAST, MOST, THIN, RUN = 1, 64, 24, 128
 _NULL = np.iinfo(np.int64).max
-_CHUNKS = pa.schema([("d1", pa.int64()), ("d2", pa.int32()), ("doc", pa.int64()), ("text_hash", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
+_CHUNKS = pa.schema([("d1", pa.int64()), ("d2", pa.int32()), ("doc", pa.int64()), ("text_hash", pa.int32()), ("start", pa.int32()), ("length", pa.int32()), ("n_bytes", pa.int32()), ("again", pa.bool_())])
 
 
 _DIGEST = np.dtype([("d1", "<i8"), ("d2", "<i4"), ("unused", "<i4")])
@@ -45,35 +48,54 @@ def _gear() -> np.ndarray:
     return (wordhash.mix(np.arange(256, dtype=np.uint64) + np.uint64(77)) >> np.uint64(32)).astype(np.uint32)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """Gear hash after each byte: the sum of the table's entries of the last 32 bytes, shifted by their distance."""
+def gear(data: np.ndarray, spans: tuple[int, ...] = (1, 2, 4, 8, 16)) -> np.ndarray:
+    """Gear hash after each byte: the sum of the table's entries of the last 32 bytes, shifted by their distance.
+
+    With fewer ``spans`` it is that of fewer bytes: their sum and one.
+    """
     h = _gear()[data]
-    for span in (1, 2, 4, 8, 16):
+    for span in spans:
         h[span:] += h[:-span] << np.uint32(span)
     return h
 
 
 def cuts(text: bytes) -> list[int]:
     """Ends of the chunks."""
-    if not text:
-        return []
-    places = (np.flatnonzero(gear(np.frombuffer(text, np.uint8)) >> np.uint32(32 - CUT_BITS) == 0) + 1).tolist()
-    out, last = [], 0
-    for p in [*places, len(text)]:
-        while p - last > MOST:
-            last += MOST
-            out.append(last)
-        if p - last >= LEAST:
-            out.append(p)
-            last = p
-    if last < len(text):
-        out.append(len(text))
-    return out
+    if len(text) < MOST:
+        return [len(text)] if text else []
+    h = gear(np.frombuffer(text, np.uint8), (1, 2, 4, 8))
+    least = h.astype(np.uint64) << np.uint64(32) | (np.uint64(2**32 - 1) - np.arange(len(h), dtype=np.uint64))
+    span = 1
+    while span < MOST:  # a power of two
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    place = 2**32 - 1 - (least & np.uint64(2**32 - 1)).astype(np.int64)
+    place = place[np.concatenate(([True], place[1:] != place[:-1]))]
+    tied = np.concatenate(([False], (h[place[1:]] == h[place[:-1]]) & (np.diff(place) < THIN)))
+    if tied.any():
+        step = (place - np.maximum.accumulate(np.where(tied, 0, place))) // THIN
+        place = place[~tied | np.concatenate(([True], step[1:] != step[:-1]))]
+    ends = (place + 1).tolist()
+    return ends if ends[-1] == len(text) else [*ends, len(text)]
+
+
+def _again(d1, d2, docs, hashes, starts) -> np.ndarray:
+    """Which of the chunks come after another place of their digest in these arrays."""
+    again = np.zeros(len(d1), bool)
+    order = np.argsort(d1, kind="stable")
+    same = d1[order[1:]] == d1[order[:-1]]
+    some = order[np.append(same, False) | np.append(False, same)]
+    if len(some):
+        some = some[np.lexsort([x[some] for x in (starts, hashes, docs, d2, d1)])]
+        new = np.append(True, (d1[some[1:]] != d1[some[:-1]]) | (d2[some[1:]] != d2[some[:-1]]))
+        first = some[np.maximum.accumulate(np.where(new, np.arange(len(some)), 0))]
+        again[some] = (docs[some] != docs[first]) | (hashes[some] != hashes[first]) | (starts[some] != starts[first])
+    return again
 
 
 def _chunks(batches):
     for ids, texts in doc_batches(batches):
-        d1, d2, docs, hashes, starts, lengths = [], [], [], [], [], []
+        d1, d2, docs, hashes, starts, lengths, sizes = [], [], [], [], [], [], []
         for i, t in zip(ids, texts, strict=True):
             raw = t.encode("utf-8", "surrogatepass")
             ends = cuts(raw)
@@ -85,8 +107,10 @@ def _chunks(batches):
             hashes.append(np.full(len(ends), text_hash(raw), np.int32))
             starts += at[: len(ends)]
             lengths += (np.diff(ends, prepend=0)).tolist()
+            sizes.append(np.full(len(ends), len(raw), np.int32))
         if starts:
-            yield record_batch(_CHUNKS, *(np.concatenate(x) for x in (d1, d2, docs, hashes)), starts, lengths)
+            keys = [*(np.concatenate(x) for x in (d1, d2, docs, hashes)), np.array(starts, np.int32)]
+            yield record_batch(_CHUNKS, *keys, lengths, np.concatenate(sizes), _again(*keys))
 
 
 def _sizes(batches):
@@ -96,29 +120,26 @@ def _sizes(batches):
         yield record_batch(schema, ids, [text_hash(r) for r in raws], [len(r) for r in raws])
 
 
-def _runs(spans):
-    """Neighbouring (start, length) repeats merged, only runs of RUN bytes or more."""
+def _runs(spans, n_bytes):
+    """Neighbouring (start, length) repeats merged, only runs of RUN bytes or more or of all the document's bytes."""
     step = lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == s["start"]),
         F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (s["start"] + s["length"]).alias("end")))),
     ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), (s["start"] + s["length"]).alias("end")))))
     runs = F.aggregate(spans, F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
-    return F.filter(runs, lambda r: r["end"] - r["start"] >= RUN)
+    return F.filter(runs, lambda r: (r["end"] - r["start"] >= RUN) | (r["end"] - r["start"] == n_bytes))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc (the largest long: null), text_hash, runs (start, end in bytes) of each document with something to remove."""
-    chunks = text_rows(docs).mapInArrow(_chunks, "d1 long, d2 int, doc long, text_hash int, start int, length int")
+    chunks = text_rows(docs).mapInArrow(_chunks, "d1 long, d2 int, doc long, text_hash int, start int, length int, n_bytes int, again boolean")
     place = F.struct("doc", "text_hash", "start")
-    salt = F.pmod(F.xxhash64("doc"), F.lit(SALTS))
-    # first among the digest's places with one salt, then the first of these; what is known to repeat goes anywhere
-    local = Window.partitionBy("d1", "d2", "salt").orderBy(place)
-    chunks = chunks.withColumn("salt", salt).withColumn("again", place != F.first(place).over(local))
+    # what is known to repeat goes anywhere
     overall = Window.partitionBy("d1", "d2", F.when(F.col("again"), F.xxhash64("doc", "start"))).orderBy(place)
     chunks = chunks.withColumn("again", F.col("again") | (place != F.first(place).over(overall))).where("again")
     # a document's repeats are at most its own chunks
-    spans = chunks.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"))
-    return spans.select("doc", "text_hash", _runs("spans").alias("runs")).where(F.size("runs") > 0)
+    spans = chunks.groupBy("doc", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "length"))).alias("spans"), F.first("n_bytes").alias("n_bytes"))
+    return spans.select("doc", "text_hash", _runs("spans", F.col("n_bytes")).alias("runs")).where(F.size("runs") > 0)
 
 
 def removals(docs: DataFrame) -> DataFrame:

@@ -169,3 +169,27 @@ def test_merged_transform_is_the_whole_ones():
     merged, _ = bwt.merge(bwt.transform(strings[:2]), bwt.transform(strings[2:], 2), 40)
     whole = bwt.transform(strings)
     assert all((x == y).all() for x, y in zip(merged[:3], whole[:3], strict=True))
+
+
+def test_passages_of_51_words_and_short_exact_copies_go(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnoprstu") for _ in range(rnd.choice([2, 3, 4, 5, 6, 7, 8])))
+    some = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], []
+    for n in (51, 55, 60):
+        for _ in range(200):
+            passages.append(some(n))
+            rows += [(len(rows) + k, f"{some(30)} {passages[-1]} {some(30)}") for k in range(2)]
+    removed = {r.doc_id: r.n_removed for r in chunk_dedup.removals(docs_of(spark, rows)).collect()}
+    share = [removed[2 * i + 1] / len(p) for i, p in enumerate(passages)]
+    assert min(share) >= 0.45 and np.mean(share) >= 0.7 and not any(removed[2 * i] for i in range(len(passages)))
+    short = [(0, "A short line."), (1, "A short line."), (2, some(15)), (4, "x" * 40), (4, "x" * 40), (5, "Another."), (None, "Another.")]
+    short += [(3, short[2][1]), (6, short[2][1] + " and more")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in chunk_dedup.removals(docs_of(spark, short)).collect()}
+    assert {i for i, (n, gone) in got.items() if gone} == {1, 3, None} and all(got[i][0] == got[i][1] for i in (1, 3, None))
+    assert {r.doc_id: r.text for r in chunk_dedup.dedup_texts(docs_of(spark, short)).collect()}[3] == ""
+
+
+def test_chunks_of_periodic_text_are_not_bytes():
+    for period in ("x", "ab", "Wher. "):
+        assert len(chunk_dedup.cuts((period * 3000).encode())) <= len(period) * 3000 / chunk_dedup.THIN + 8
