@@ -2,8 +2,9 @@
 
 Natural words cost a byte-level BPE vocabulary few tokens for their length; random strings cost many.  A candidate run
 of ``[A-Za-z0-9+/_=-]`` of ``MIN_CHARS`` or more is a ``random`` span if it has under ``CHARS_PER_TOKEN`` characters a
-token, at least two kinds of characters (lower, upper, digits) and is neither a known digest (hex of a digest's
-length), a UUID, an integer, nor an identifier made of words (snake, kebab, camel case or a path of them).
+token and is neither a known digest (hex of a digest's length), a UUID, an integer, nor an identifier made of words
+(snake, kebab, camel case or a path of them).  Words are told from chance by the vocabulary too: in lower case they
+have ``WORD_CHARS_PER_TOKEN`` letters a token or more.
 
 Null texts count as empty.  Each input row gives one row (no spans: empty string, the digest of the empty string);
 spans are in code points, end exclusive, ordered by start, then assign, access, hex, random.  Base patterns always
@@ -23,7 +24,7 @@ from .common import doc_batches, documents, record_batch, text_rows
 from .encoders import path_of
 
 KINDS = ("assign", "access", "hex", "random")
-MIN_CHARS, CHARS_PER_TOKEN = 20, 2.0
+MIN_CHARS, CHARS_PER_TOKEN, WORD_CHARS_PER_TOKEN = 20, 2.0, 2.5
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Every match of _ASSIGN holds one of these; a text without them is not searched.
 _ASSIGN_WORDS = ("passw", "secret", "token", "key")
@@ -52,12 +53,11 @@ def vocabulary(file: str):
 def looks_random(s: str, tokens) -> bool:
     if len(s) in _DIGESTS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", s) or _KNOWN.fullmatch(s):
         return False
-    kinds = bool(re.search("[a-z]", s)) + bool(re.search("[A-Z]", s)) + bool(re.search("[0-9]", s))
-    if kinds < 2:
-        return False
     parts = [p for q in re.split(r"[-_/=+]+", s) if q for p in _CAMEL.split(q)]
     if all(_PART.fullmatch(p) for p in parts) and sum(map(len, parts)) >= 3.5 * len(parts):
-        return False
+        words = re.findall("[a-z]+", " ".join(parts).lower())
+        if sum(map(len, words)) >= WORD_CHARS_PER_TOKEN * sum(len(tokens.encode_ordinary(f" {w}")) for w in words):
+            return False
     return len(s) / len(tokens.encode_ordinary(s)) < CHARS_PER_TOKEN
 
 

@@ -91,6 +91,19 @@ def test_secret_scan_finds_what_the_patterns_say(spark):
     assert texts[None] == "<SECRET> a b c d e f" and texts[5] is None and texts[1] == "a b"
 
 
+def test_random_strings_of_any_alphabet_are_secrets():
+    tokens = secret_scan.vocabulary(path_of("byte_bpe_50k.tiktoken"))
+    rnd = random.Random(3)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    for letters, most in ((lower.upper() + "234567", 0.02), (lower.upper() + "0123456789", 0.02), (lower.upper(), 0.02), (lower, 0.15)):
+        for n in (20, 24, 32, 52):
+            keys = ["".join(rnd.choice(letters) for _ in range(n)) for _ in range(300)]
+            missed = [k for k in keys if secret_scan.redact(f"see {k} there", tokens) != "see <SECRET> there"]
+            assert len(missed) <= most * len(keys), (letters, n, len(missed))
+    for plain in ("MAX_CONNECTION_TIMEOUT_SECONDS", "IMAGE_SCN_CNT_UNINITIALIZED_DATA", "INVOICE-2024-0001-CUSTOMER", "antidisestablishmentarianism", "EMERGENCYBROADCASTSYSTEM", "test_case_2024_01_15_final"):
+        assert secret_scan.scan(f"see {plain} there", tokens) == [], plain
+
+
 def test_packing(spark):
     encoder = word_encoder(path_of("word_bpe_49k.json"))
     rows = [*EDGE, *((100 + i, f"some text {i} " * (i * 7 % 900)) for i in range(120))]
