@@ -3,13 +3,15 @@
 A text becomes a sequence of template tokens: numbers, names and units turn into typed placeholders, other words into
 lower case.  Windows of ``WINDOW`` template tokens of documents and benchmark items are hash-joined.  Matches of a
 document and an item with the same shift between their positions form an alignment; it counts if at least
-``MIN_WINDOWS`` windows match (all, if the item has fewer) and its slots are consistent: one value of the item always
+``MIN_WINDOWS`` windows match (all, if the item has fewer that say enough) and its slots are consistent: one value of the item always
 stands for one value of the document.  So both copied and re-parameterised questions are found.
 
 Tokens are numbers (with inner points and commas) and runs of letters.  A name is a word of two letters or more with a
 capital A-Z followed by lower case that does not begin a sentence; a unit is one of ``UNITS`` after a number.  Windows
-with fewer than ``MIN_WORDS`` plain words match anything of that shape and are left out; so items with fewer than
-``WINDOW`` tokens never match.  Benchmark windows are broadcast only if there are at most ``BROADCAST_WINDOWS``, else
+with fewer than ``MIN_WORDS`` plain words match anything of that shape and are left out; only if an item has no
+others, those with a plain word count where the document has the same written values.  Items with fewer than
+``WINDOW`` tokens match as a whole: as written but for case, or by their template if it has ``MIN_WORDS`` plain words.
+Items of numbers alone never match.  Benchmark windows are broadcast only if there are at most ``BROADCAST_WINDOWS``, else
 the join is shuffled.
 
 Null and empty texts of documents or items have no windows.  Rows with equal doc_id and text are one document, rows
@@ -19,7 +21,7 @@ result.  Extra columns are ignored here and kept by ``drop_contaminated``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -67,16 +69,72 @@ def windows(df: DataFrame) -> DataFrame:
     return df.where(n > 0).select("*", F.posexplode(hashed).alias("_at", "_hash")).drop("_ids")
 
 
-def item_windows(benchmark: DataFrame) -> DataFrame:
-    """_hash, item_id, _ipos, _n (windows of the item), _slots (offset, kind, value) of each window that says enough."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    rows = windows(template(items))
-    slot = F.transform(
+def _slots():
+    """(offset, kind, value) of each placeholder of the window from _at, as far as there are tokens."""
+    return F.transform(
         F.filter(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda k: F.get("_kind", F.col("_at") + k).isin("#", "@", "%")),
         lambda k: F.struct(k.alias("k"), F.get("_kind", F.col("_at") + k).alias("kind"), F.lower(F.get("_word", F.col("_at") + k)).alias("value")),
     )
-    rows = rows.select("_hash", "item_id", F.xxhash64("text").alias("_item"), F.col("_at").alias("_ipos"), (F.size("_kind") - WINDOW + 1).alias("_n"), slot.alias("_slots"))
-    return rows.where(F.size("_slots") <= WINDOW - MIN_WORDS)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return template(benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct())
+
+
+def item_windows(benchmark: DataFrame) -> DataFrame:
+    """_hash, item_id, _ipos, _n (windows of the item), _need (that have to match), _slots and _exact (whether their values have to be the same)."""
+    rows = windows(_items(benchmark))
+    rows = rows.select("_hash", "item_id", F.xxhash64("text").alias("_item"), F.col("_at").alias("_ipos"), (F.size("_kind") - WINDOW + 1).alias("_n"), _slots().alias("_slots"))
+    rows = rows.where(F.size("_slots") < WINDOW).withColumn("_exact", F.size("_slots") > WINDOW - MIN_WORDS)
+    # an item's windows are at most its own tokens
+    item = Window.partitionBy("item_id", "_item")
+    rows = rows.withColumn("_some", F.min("_exact").over(item)).where("_exact = _some").drop("_some")
+    return rows.withColumn("_need", F.least(F.lit(MIN_WINDOWS), F.count("*").over(item)))
+
+
+def whole_items(benchmark: DataFrame) -> DataFrame:
+    """_width, _template, _key, item_id, _item, _slots of items with fewer than WINDOW tokens: once as written, once as template if that says enough."""
+    rows = _items(benchmark).where((F.size("_word") > 0) & (F.size("_word") < WINDOW) & F.exists("_word", lambda w: w >= ":"))
+    rows = rows.withColumn("_at", F.lit(0)).withColumn("_width", F.size("_word"))
+    slots = _slots()
+    says = (F.size(slots) > 0) & (F.col("_width") - F.size(slots) >= MIN_WORDS)
+    written = rows.select("_width", F.lit(False).alias("_template"), _key("_word", F.lit(0), F.col("_width")).alias("_key"), "item_id", F.xxhash64("text").alias("_item"), slots.alias("_slots"))
+    return written.union(rows.where(says).select("_width", F.lit(True), _key("_kind", F.lit(0), F.col("_width")), "item_id", F.xxhash64("text"), slots))
+
+
+def _key(tokens: str, at, width):
+    return F.xxhash64(F.transform(F.slice(tokens, at + 1, width), lambda x: F.lower(x)))
+
+
+def _keys(tokens: str, width: int):
+    return F.transform(F.sequence(F.lit(0), F.size(tokens) - width), lambda i: _key(tokens, i, F.lit(width)))
+
+
+def _one_to_one(pairs):
+    return F.size(pairs) == F.size(F.array_distinct(F.transform(pairs, lambda p: F.struct(p["kind"], p["ours"]))))
+
+
+def _pairs(at):
+    return F.transform("_slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("ours"), F.lower(F.get("_word", at + s["k"])).alias("theirs")))
+
+
+def _changed(pairs):
+    return F.size(F.filter(pairs, lambda p: p["ours"] != p["theirs"]))
+
+
+def _whole(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents (after ``template``) that hold one of ``whole_items``, as rows like those of ``contaminated``."""
+    found = None
+    for width, by_template in sorted(tuple(r) for r in items.select("_width", "_template").distinct().collect()):  # 10 at most
+        mine = items.where((F.col("_width") == width) & (F.col("_template") == by_template))
+        keys = _keys("_kind" if by_template else "_word", width)
+        met = rows.where(F.size("_word") >= width).select("*", F.posexplode(keys).alias("_at", "_key"))
+        met = met.join(F.broadcast(mine) if items.count() <= BROADCAST_WINDOWS else mine, "_key").withColumn("_pairs", F.array_distinct(_pairs(F.col("_at"))))
+        met = met.where(_one_to_one(F.col("_pairs"))) if by_template else met
+        changed = _changed(F.col("_pairs")) if by_template else F.lit(0)
+        met = met.select("doc_id", "text_hash", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1).alias("_n"), changed.alias("changed"))
+        found = met if found is None else found.union(met)
+    return found
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -85,19 +143,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if bench.count() <= BROADCAST_WINDOWS:
         bench = F.broadcast(bench)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = windows(template(rows).withColumn("text_hash", F.xxhash64("text")).drop("text"))
-    met = rows.join(bench, "_hash")
-    pairs = F.transform("_slots", lambda s: F.struct(s["kind"].alias("kind"), s["value"].alias("ours"), F.lower(F.get("_word", F.col("_at") + s["k"])).alias("theirs")))
-    met = met.select("doc_id", "text_hash", "item_id", "_item", "_n", "_ipos", (F.col("_at") - F.col("_ipos")).alias("_shift"), pairs.alias("_pairs"))
+    rows = template(rows).withColumn("text_hash", F.xxhash64("text")).drop("text")
+    met = windows(rows).join(bench, "_hash").withColumn("_pairs", _pairs(F.col("_at"))).where(~F.col("_exact") | (_changed(F.col("_pairs")) == 0))
+    met = met.select("doc_id", "text_hash", "item_id", "_item", "_n", "_need", "_ipos", (F.col("_at") - F.col("_ipos")).alias("_shift"), "_pairs")
     # an alignment has at most the item's windows, so its sets are bounded by the item
-    lined = met.groupBy("doc_id", "text_hash", "item_id", "_item", "_n", "_shift").agg(
+    lined = met.groupBy("doc_id", "text_hash", "item_id", "_item", "_n", "_need", "_shift").agg(
         F.count_distinct("_ipos").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("_pairs"))).alias("_pairs")
     )
-    one_to_one = F.size("_pairs") == F.size(F.array_distinct(F.transform("_pairs", lambda p: F.struct(p["kind"], p["ours"]))))
-    lined = lined.where((F.col("n_windows") >= F.least(F.lit(MIN_WINDOWS), F.col("_n"))) & one_to_one)
-    changed = F.size(F.filter("_pairs", lambda p: p["ours"] != p["theirs"]))
+    lined = lined.where((F.col("n_windows") >= F.col("_need")) & _one_to_one(F.col("_pairs")))
+    lined = lined.select("doc_id", "text_hash", "item_id", "n_windows", "_n", _changed(F.col("_pairs")).alias("changed"))
+    whole = materialize(whole_items(benchmark), "benchmark-items")
+    if not whole.isEmpty():
+        lined = lined.union(_whole(rows, whole))
     return lined.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max("n_windows").cast("long").alias("n_windows"), F.max("_n").cast("long").alias("item_windows"), F.min(changed).cast("long").alias("changed_slots")
+        F.max("n_windows").cast("long").alias("n_windows"), F.max("_n").cast("long").alias("item_windows"), F.min("changed").cast("long").alias("changed_slots")
     )
 
 

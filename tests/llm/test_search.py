@@ -132,6 +132,29 @@ def test_decontamination_finds_copies_and_new_parameters(spark):
     assert dc.contaminated(docs.where("false"), bench).count() == 0 and dc.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_copies_of_short_and_number_heavy_items_are_found(spark):
+    rnd = random.Random(6)
+    items = {
+        1: "What is 48 divided by 6?",
+        2: "Who wrote Hamlet?",
+        3: "法国的首都是哪里？",
+        4: "Compute 12 + 7 * 3 - 4 / 2 + 9 when x = 5 and y = 8.",
+        5: "Solve for x: 3x + 7 = 22, 5x - 4 = 21, 2x + 9 = 19.",
+        6: "Convert 72 km/h, 36 km/h and 18 km/h to m/s.",
+        7: "How many days are in 3 weeks?",
+        8: "Albert Einstein",
+    }
+    other = {1: "What is 49 divided by 6?", 2: "Who wrote Macbeth?", 3: "德国的首都是哪里？", 4: items[4].replace("12", "13").replace("5", "6").replace("8", "9"), 5: "Solve for x: 3x - 9 = 12, 4x + 1 = 25, 6x + 2 = 18.", 8: "Albert Camus"}
+    rows = [(i, f"{prose(rnd, 9)} {t} {prose(rnd, 9)}") for i, t in items.items()]
+    rows += [(100 + i, f"{prose(rnd, 9)} {t} {prose(rnd, 9)}") for i, t in other.items()]
+    rows += [(207, "How many days are in 5 weeks?"), (208, items[2]), (209, prose(rnd, 200))]
+    docs = spark.createDataFrame([(i, t, "en", "x", "y") for i, t in rows], DOCS)
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in dc.contaminated(docs, bench).collect()}
+    assert got.keys() == {*((i, i) for i in items), (207, 7), (208, 2)}
+    assert got[207, 7] == 1 and not any(got[i, i] for i in items)
+
+
 def test_decontamination_without_broadcasts(spark, monkeypatch):
     monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
     monkeypatch.setattr(dc, "BROADCAST_KEYS", 0)
