@@ -262,3 +262,14 @@ def test_one_of_each_keeps_columns(spark):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in jaccard_classes(docs).collect()}
     assert jaccard_classes(docs_of(spark, [])).count() == 0
+
+
+def test_one_of_each_decides_by_row(spark):
+    from shufflescope.llm.jaccard_join import one_of_each
+
+    a, b, c, d = ("one two three four five six", "red green blue white black", "up down left right here", "alone with its own words today")
+    rows = [(1, a), (2, a), (2, b), (None, c), (None, c.upper()), (None, a), (3, d), (3, d), (None, None), (None, ""), (4, ""), (4, "")]
+    kept = one_of_each(docs_of(spark, rows))
+    assert kept.columns == docs_of(spark, []).columns
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(1, a), (2, b), (0, c.upper()), (3, d), (0, ""), (0, ""), (4, ""), (4, "")])
