@@ -12,7 +12,9 @@ queries among the sample.  Data without any structure need about half of all lea
 
 Equal vectors are searched once; of each only the ``k`` + 1 smallest vec_ids can be among k nearest, so no more are
 kept and a vector that a third of all rows share costs as much as any other.  Leaves are dealt into blocks of one tree
-with about ``BLOCK`` vectors, queries into chunks of about ``CHUNK``: a task holds one block and one chunk.
+with about ``PART_BYTES`` of vectors, and a block that has more is cut into parts.  A task holds the vectors of one part at a
+time and the queries that open one of its leaves stream past them: a vector travels once for each tree, a query once
+for each part that it opens, and neither number of a part's queries nor that of the table bounds what a task holds.
 
 Null vec_ids, vectors that are null, zero, hold null or non-finite components, or are not of the most frequent
 dimension (the smallest, if tied) take no part.  Of rows with equal vec_id and vector one counts.  Ties go to the
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE, TREES, LEAF, TARGET, PROBES = 32_768, 8, 128, 0.96, 64
-BLOCK, CHUNK = 16_384, 4096
+#: Bytes of a part's vectors in double precision, and queries that are ranked at a time.
+PART_BYTES, CHUNK = 1 << 25, 1024
 
 
 class Forest:
@@ -102,13 +105,43 @@ def calibrate(forest: Forest, sample: np.ndarray, raw: np.ndarray, k: int, targe
 
 
 def _matrix(column) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return flat.reshape(len(column), -1)
 
 
+def _kind(vectors: DataFrame) -> str:
+    return "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+
+
+class Part:
+    """The vectors of a part by leaf; ``parts`` are (ids, vectors, leaves)."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        ids, vectors, leaves = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(leaves, kind="stable")
+        self.ids, self.vectors = ids[order], vectors[order]
+        self.leaves, self.starts = np.unique(leaves[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(ids))
+
+    def best(self, queries: np.ndarray, opened: np.ndarray, of: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the k best of each query among the leaves that it opens: ``opened`` of query ``of``."""
+        score, who = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1, np.int64)
+        order = np.argsort(opened, kind="stable")
+        opened, of = opened[order], of[order]
+        for leaf, a, z in zip(self.leaves.tolist(), self.starts.tolist(), self.ends.tolist(), strict=True):
+            at = of[slice(*np.searchsorted(opened, [leaf, leaf + 1]))]
+            if len(at):
+                s = np.concatenate([score[at], queries[at] @ self.vectors[a:z].T], axis=1)
+                w = np.concatenate([who[at], np.broadcast_to(self.ids[a:z], (len(at), z - a))], axis=1)
+                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+                score[at], who[at] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
+        i, j = np.nonzero(np.isfinite(score))
+        return i, who[i, j], score[i, j]
+
+
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and vector (doubles) of the rows that take part."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
+    """vec_id and vector (single precision, if it is given so, else double) of the rows that take part."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{_kind(vectors)}>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))) & F.exists("vector", lambda x: x != 0)
     rows = rows.where(F.col("vec_id").isNotNull() & fine)
     sizes = rows.groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
@@ -127,7 +160,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET) -
     asked = rows.where("query")
     # of the copies of a query's vector the smallest vec_id names the search
     search = asked.select("key", "vector").distinct().join(copies.where("n = 1").select("key", "vector", F.col("vec_id").alias("asker")), ["key", "vector"])
-    stats = distinct.agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
+    stats = distinct.agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("most")).first()
     n_search = search.count()
     if not stats.n or not n_search:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -137,61 +170,76 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, target: float = TARGET) -
     sample = np.array([r.vector for r in distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()])
     forest = Forest(lengthen(sample))
     opened = calibrate(forest, lengthen(sample), sample, k, target)
-    per_tree = max(1, min(forest.n_leaves, stats.n // BLOCK))  # blocks of a tree
-    chunks = max(1, n_search // CHUNK)
+    most = max(1, PART_BYTES // (8 * sample.shape[1]))
+    per_tree = max(1, min(forest.n_leaves, stats.n // most))  # blocks of a tree
     shared = spark.sparkContext.broadcast(forest)  # at most 2 * SAMPLE / LEAF planes a tree
+    kind = _kind(vectors)
+    form = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("asks", pa.bool_()), ("id", pa.int64()), ("vector", pa.list_(pa.float32() if kind == "float" else pa.float64())), ("leaves", pa.list_(pa.int64()))])
+    ddl = f"block long, part long, asks boolean, id long, vector array<{kind}>, leaves array<long>"
 
     def block(leaves):
         return leaves // forest.n_leaves * per_tree + leaves % forest.n_leaves * per_tree // forest.n_leaves
 
+    def blocks_of(batches):
+        for b in batches:
+            found, n = np.unique(block(shared.value.leaf(lengthen(_matrix(b.column(0))))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n)], names=["block", "n"])
+
+    # at most TREES * n_leaves rows
+    sizes = distinct.select("vector").mapInArrow(blocks_of, "block long, n long").groupBy("block").agg(F.sum("n").alias("n")).collect()
+    parts = np.ones(len(forest.planes) * per_tree, np.int64)
+    for r in sizes:
+        parts[r.block] = -(-r.n // most)
+
     def place(batches):
         for b in batches:
-            leaves = shared.value.leaf(lengthen(_matrix(b.column(1))))
-            trees = leaves.shape[1]
-            take = np.repeat(np.arange(b.num_rows), trees)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(leaves.ravel()), pa.array(block(leaves.ravel()))], names=["rep", "vector", "leaf", "block"])
+            leaves = shared.value.leaf(lengthen(_matrix(b.column(1)))).ravel()
+            take = np.repeat(np.arange(b.num_rows), len(forest.planes))
+            ids, of = b.column(0).to_numpy()[take], block(leaves)
+            part = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % parts[of]
+            each = pa.ListArray.from_arrays(pa.array(np.arange(len(leaves) + 1, dtype=np.int32)), pa.array(leaves))
+            yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(part), pa.array(np.zeros(len(of), bool)), pa.array(ids), b.column(1).take(pa.array(take)), each], schema=form)
 
     def ask(batches):
         for whole in batches:
             for a in range(0, whole.num_rows, 512):
                 b = whole.slice(a, 512)
                 m = _matrix(b.column(1))
-                first = shared.value.order(np.concatenate([m, np.zeros((len(m), 1))], axis=1))[:, :opened]
-                out = {"asker": [], "vector": [], "leaves": [], "block": []}
-                for i, leaves in enumerate(first):
-                    of = block(leaves)
-                    for j in np.unique(of):
-                        for name, v in (("asker", b.column(0)[i].as_py()), ("vector", m[i]), ("leaves", leaves[of == j]), ("block", j)):
-                            out[name].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["asker"], pa.int64()), pa.array(out["vector"], pa.list_(pa.float64())), pa.array(out["leaves"], pa.list_(pa.int64())), pa.array(out["block"], pa.int64())], names=list(out))
-
-    def rank(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        out = {"asker": [], "rep": [], "score": []}
-        if vectors.num_rows and queries.num_rows:
-            v, reps, leaf = _matrix(vectors["vector"].combine_chunks()), vectors["rep"].to_numpy(), vectors["leaf"].to_numpy()
-            q = _matrix(queries["vector"].combine_chunks())
-            lists = queries["leaves"].combine_chunks()
-            flat, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(q)), np.diff(lists.offsets.to_numpy()))
-            by_leaf, by_query = np.argsort(leaf, kind="stable"), np.argsort(flat, kind="stable")
-            best, who = np.full((len(q), k + 1), -np.inf), np.full((len(q), k + 1), -1, np.int64)
-            for x in np.unique(leaf):
-                members = by_leaf[slice(*np.searchsorted(leaf[by_leaf], [x, x + 1]))]
-                askers = of[by_query[slice(*np.searchsorted(flat[by_query], [x, x + 1]))]]
-                for a in range(0, len(askers), 1024):
-                    at = askers[a : a + 1024]
-                    s = np.concatenate([best[at], q[at] @ v[members].T], axis=1)
-                    w = np.concatenate([who[at], np.broadcast_to(reps[members], (len(at), len(members)))], axis=1)
-                    top = np.argpartition(-s, k, axis=1)[:, : k + 1]
-                    best[at], who[at] = np.take_along_axis(s, top, 1), np.take_along_axis(w, top, 1)
-            i, j = np.nonzero(who >= 0) if (reps >= 0).all() else np.nonzero(np.isfinite(best))
-            out = {"asker": queries["asker"].to_numpy()[i], "rep": who[i, j], "score": best[i, j]}
-        return pa.table({"asker": pa.array(out["asker"], pa.int64()), "rep": pa.array(out["rep"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    indexed = distinct.mapInArrow(place, "rep long, vector array<double>, leaf long, block long")
-    indexed = indexed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    probes = search.select("asker", "vector").repartition(max(1, min(chunks * 8, 512)), "asker").mapInArrow(ask, "asker long, vector array<double>, leaves array<long>, block long")
-    probes = probes.withColumn("chunk", F.pmod(F.xxhash64("asker"), F.lit(chunks)).cast("int"))
-    ranked = indexed.groupBy("block", "chunk").cogroup(probes.groupBy("block", "chunk")).applyInArrow(rank, "asker long, rep long, score double")
+                first = np.sort(shared.value.order(np.concatenate([m, np.zeros((len(m), 1))], axis=1))[:, :opened], axis=1)
+                take, of, part, leaves = [], [], [], []
+                for i, mine in enumerate(first):
+                    found, starts = np.unique(block(mine), return_index=True)  # blocks rise with leaves
+                    for j, own in zip(found.tolist(), np.split(mine, starts[1:]), strict=True):
+                        for p in range(parts[j]):
+                            take.append(i)
+                            of.append(j)
+                            part.append(p)
+                            leaves.append(own)
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(part, pa.int64()), pa.array([True] * len(of)), b.column(0).take(pa.array(take)), b.column(1).take(pa.array(take)), pa.array(leaves, pa.list_(pa.int64()))], schema=form)
+
+    def rank(batches):
+        """Of each part first the vectors, which are kept, then the queries, as many as there are."""
+        at, held, now = None, [], None
+        for b in batches:
+            of, part, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            new = np.flatnonzero((of[1:] != of[:-1]) | (part[1:] != part[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, z in zip([0, *new.tolist()], [*new.tolist(), b.num_rows], strict=True):
+                if (of[a], part[a]) != at:
+                    at, held, now = (of[a], part[a]), [], None
+                if not asks[a]:
+                    some = b.slice(a, z - a)
+                    held.append((some.column(3).to_numpy(), _matrix(some.column(4)), some.column(5).flatten().to_numpy()))
+                    continue
+                now = now or (Part(held) if held else None)
+                for c in range(a, z, CHUNK) if now else ():
+                    some = b.slice(c, min(CHUNK, z - c))
+                    lists = some.column(5)
+                    i, who, score = now.best(_matrix(some.column(4)), lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), k + 1)
+                    yield pa.RecordBatch.from_arrays([some.column(3).take(pa.array(i)), pa.array(who), pa.array(score)], names=["asker", "rep", "score"])
+
+    asked_leaves = search.select("asker", "vector").repartition(max(1, min(n_search // 512, 512)), "asker").mapInArrow(ask, ddl)
+    met = distinct.mapInArrow(place, ddl).union(asked_leaves).repartition("block", "part").sortWithinPartitions("block", "part", "asks")
+    ranked = met.mapInArrow(rank, "asker long, rep long, score double")
     ranked = ranked.groupBy("asker", "rep").agg(F.max("score").alias("score"))  # one vector, from several trees
     first = Window.partitionBy("asker").orderBy(F.desc("score"), "rep")
     found = ranked.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).drop("n")
