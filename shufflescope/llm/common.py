@@ -11,6 +11,15 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python kernel works on at a time; bounds its temporary arrays.
 SLICE_BYTES = 1_000_000
+#: Bytes of a batch that Spark hands to a Python worker: both sides hold one, Spark's own limit is 64 MB.
+BATCH_BYTES = 4_000_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's batches for Python workers by bytes, as rows hold whole texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, BATCH_BYTES)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +76,5 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def text_rows(docs: DataFrame) -> DataFrame:
     """Only what the kernels read, so that the scan is pruned and clashing extra columns never matter."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

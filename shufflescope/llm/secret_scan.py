@@ -20,7 +20,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import doc_batches, documents, record_batch, text_rows
+from .common import doc_batches, documents, record_batch, small_batches, text_rows
 from .encoders import path_of
 
 KINDS = ("assign", "access", "hex", "random")
@@ -110,6 +110,7 @@ def redact(text: str, tokens) -> str:
 
 def redact_secrets(docs: DataFrame, ranks: str | None = None, column: str = "text") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced; all other columns, rows and null texts stay as they are."""
+    small_batches(docs.sparkSession)
     file = ranks or path_of("byte_bpe_50k.tiktoken")
     at = docs.columns.index(column)
 
