@@ -6,7 +6,9 @@ are exactly zero.  The others make two short sorted arrays that are broadcast; t
 bounded training sample holds.  Scoring is one map over the documents, without a shuffle.
 
 Learning: rows with a label whose crc32(doc_id as text) mod ``FOLDS`` is not 0; of these the ``TRAIN_DOCS`` with the
-smallest hash of their id, a bounded sample.  labels, lang, source and doc_id are no inputs of a score.
+smallest hash of their id, and of those in the order of another hash as many as have ``TRAIN_FEATURES`` features
+together: a sample bounded in rows and bytes.  One task learns from it and hands on the weights that are not zero;
+the driver sees no feature of a text.  labels, lang, source and doc_id are no inputs of a score.
 
 Null and empty texts have no features and get the bias alone.  A null doc_id is never learned from and is not held
 out.  Labels that are null, name no document or repeat are harmless: a repeated label counts once, and contradicting
@@ -22,15 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import doc_batches, documents, record_batch, text_rows
+from .common import doc_batches, documents, record_batch, small_batches, text_rows
 
 FOLDS, TRAIN_DOCS, EPOCHS = 5, 6000, 4
+#: Features (4 bytes) of all documents learned from.
+TRAIN_FEATURES = 25_000_000
 ALPHA, BETA, L2 = 1.0, 1.0, 1.0
 #: L1 is this times the root of the number of documents, as the noise in a coordinate grows; weight of a toxic document.
 L1_RATE, POSITIVE = 0.2, 4.0
 #: Offsets of the words of a feature: words, pairs, pairs that skip one.
 GRAMS = ((0,), (0, 1), (0, 2))
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
+_MODEL = pa.schema([("columns", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -85,7 +90,7 @@ def train(rows: list[tuple[np.ndarray, float]]) -> tuple[np.ndarray, np.ndarray,
     inputs = []
     for f, label in rows:
         at = np.minimum(np.searchsorted(columns, f), max(0, len(columns) - 1))
-        inputs.append((np.append(at[columns[at] == f] if len(columns) else [], len(columns)).astype(np.int64), label))
+        inputs.append((np.append(at[columns[at] == f] if len(columns) else [], len(columns)).astype(np.int32), label))
     for _ in range(EPOCHS):
         for at, label in inputs:
             model.learn(at, label)
@@ -110,9 +115,27 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> tup
 
     taught = text_rows(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
     rows = taught.select("doc_id", "text").mapInArrow(extract, "doc_id long, features binary")
-    label = {r._id: r._toxic for r in sample.collect()}
-    got = sorted((r.doc_id * 0x9E3779B97F4A7C15 % 2**64, r.doc_id, bytes(r.features)) for r in rows.collect())  # at most train_docs documents
-    return train([(np.frombuffer(f, np.uint32), label[i]) for _, i, f in got])
+
+    def learn(batches):
+        got, n = [], 0
+        for b in batches:
+            for doc, label, f in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                got.append((doc * 0x9E3779B97F4A7C15 % 2**64, doc, np.frombuffer(f.as_buffer(), np.uint32).copy(), label))
+        rows = []
+        for _, _, f, label in sorted(got, key=lambda r: (r[0], r[1], r[2].tobytes())):
+            n += len(f)
+            if n > TRAIN_FEATURES:
+                break
+            rows.append((f, label))
+        columns, weights, bias = train(rows)
+        yield record_batch(_MODEL, [columns.tobytes()], [weights.tobytes()], [bias])
+
+    labelled = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "_toxic", "features")
+    # at most train_docs rows, dealt to one task; a sparse model comes back
+    model = labelled.repartition(1).mapInArrow(learn, "columns binary, weights binary, bias double").first()
+    if model is None:
+        return train([])
+    return np.frombuffer(model.columns, np.uint32), np.frombuffer(model.weights), model.bias
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
@@ -145,7 +168,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], column: str = "text") -> DataFrame:
-    """The rows that the model does not take for toxic, with all their columns."""
+    """The rows that the model does not take for toxic, with all their columns; null and empty texts have the bias alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(column)
 
