@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunk_dedup import gear
-from .common import documents, materialize, record_batch
+from .common import documents, materialize, record_batch, small_batches
 
 LENGTH, SPREAD = 400, 128
 _NULL = np.iinfo(np.int64).max
@@ -142,15 +142,18 @@ def _result(batches):
 
 def repeated_bytes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (start:end in bytes) of each row of ``docs``."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NULL))).alias("doc"), text.alias("text"))
     rows = rows.withColumn("th", F.xxhash64("text").bitwiseAND(F.lit(2**31 - 1)).cast("int"))
 
     found = rows.where(F.octet_length("text") >= LENGTH).mapInArrow(_anchor_rows, "k long, e long, doc long, th int, idx int")
+    # what is grouped is written before it is joined, so that the rows of a hot key can be split in the join
     keys = found.groupBy("k").agg(F.count("*").alias("n"), F.min("e").alias("least"), F.max("e").alias("most")).where("n > 1")
-    shared = materialize(found.join(keys.select("k", (F.col("least") < F.col("most")).alias("several")), "k"), "shared-anchors")
+    keys = materialize(keys.select("k", (F.col("least") < F.col("most")).alias("several")), "keys")
+    shared = materialize(found.join(keys, "k"), "shared-anchors")
     place = F.xxhash64("doc", "th", "idx")
-    contexts = shared.groupBy("k", "e").agg(F.count("*").alias("c"), F.min(place).alias("first"))
+    contexts = materialize(shared.groupBy("k", "e").agg(F.count("*").alias("c"), F.min(place).alias("first")), "contexts")
     alone, several = F.col("c") == 1, F.col("several")
     flags = shared.join(contexts, ["k", "e"]).select(
         "doc", "th", "idx", (~alone).alias("whole"), (alone & several).alias("ask"), (~alone & several & (F.col("first") == place)).alias("rep")
@@ -166,6 +169,7 @@ def repeated_bytes(docs: DataFrame) -> DataFrame:
     starts = rows_fine.select("doc", "text", "th", "ask", "rep").mapInArrow(_start_rows, "h1 long, h2 int, e long, doc long, th int, s int, ask boolean")
     starts = materialize(starts, "starts")
     twice = starts.groupBy("h1", "h2").agg(F.min("e").alias("least"), F.max("e").alias("most")).where("least != most").select("h1", "h2")
+    twice = materialize(twice, "repeated-strings")
     single = starts.where("ask").join(twice, ["h1", "h2"]).groupBy("doc", "th").agg(F.collect_set("s").alias("single"))
 
     marks = materialize(flags.where("size(whole) > 0").select("doc", "th", "whole").join(single, ["doc", "th"], "full"), "marks")
