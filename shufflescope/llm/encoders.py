@@ -56,6 +56,7 @@ class Encoder:
 
     cut: re.Pattern
     lead = ""
+    entries = PRE_ENTRIES, CHUNK_ENTRIES
 
     def __init__(self, file: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -64,7 +65,7 @@ class Encoder:
         self.library = Tokenizer.from_file(file)
         self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pre, self.chunks = Memo(self.merge, PRE_ENTRIES), Memo(self.chunk, CHUNK_ENTRIES)
+        self.pre, self.chunks = (Memo(make, n) for make, n in zip((self.merge, self.chunk), self.entries, strict=True))
         chars = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the byte alphabet of byte-level BPE
         self.table = {b: chr(b) for b in chars}
         for b in range(256):
@@ -95,6 +96,7 @@ class ByteEncoder(Encoder):
 
     cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
     lead = " "
+    entries = 2 * PRE_ENTRIES, 2 * CHUNK_ENTRIES  # nothing else runs beside it that needs the memory
     spaced = re.compile(r" (?:\s|\Z)")
 
     def encode(self, text: str) -> bytes:

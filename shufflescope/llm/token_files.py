@@ -1,6 +1,7 @@
 """Token ids in flat binary files with 64-bit document offsets.
 
-A dataset is a folder of shards in ascending order of doc_id (nulls first; equal ids by text).  A shard is two files:
+A dataset is a folder of shards in ascending order of doc_id (nulls first; equal ids by a hash of the text, so that
+rows of one id, or without any, are dealt over several shards like all others; equal rows anyhow).  A shard is two files:
 ``part-N-*.ids`` has the ids as little-endian unsigned integers of 16 bits if the vocabulary allows, else 32, and
 ``part-N-*.idx`` has, as little-endian 64-bit integers, the number of documents, then their doc_ids (smallest 64-bit
 integer: null), then one more offset than documents, counted in ids from the shard's begin.  The manifest, one row a
@@ -46,7 +47,10 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     spark = docs.sparkSession
     file, folder = vocabulary or path_of("byte_bpe_50k.json"), _local(folder)
     n = max(partitions(spark), docs.rdd.getNumPartitions())
-    rows = text_rows(docs).repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # the number of the row parts equal rows; it only orders what is the same
+    keyed = text_rows(docs).withColumns({"_text": F.xxhash64("text"), "_row": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_first(), "_text", "_row"]
+    rows = keyed.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def write(batches):
         encoder = byte_encoder(file)
@@ -79,13 +83,24 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str | None = None, en
     return spark.createDataFrame(manifest, "shard long, path string, n_docs long, n_ids long, base long, kind string")
 
 
-def open_shard(uri: str, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc_ids, offsets and ids of a shard; on a local or mounted file system the arrays are memory maps."""
+class _Ranges:
+    """ids of a shard on a store that can't be mapped: a slice reads its own bytes only."""
+
+    def __init__(self, file, kind: str):
+        self.file, self.kind = file, np.dtype(kind)
+
+    def __getitem__(self, at: slice) -> np.ndarray:
+        width = self.kind.itemsize
+        return np.frombuffer(self.file.read_at(int(at.stop - at.start) * width, int(at.start) * width), self.kind)
+
+
+def open_shard(uri: str, kind: str):
+    """doc_ids, offsets and ids of a shard: memory maps on a local or mounted file system, else ids are read by ranges."""
     store, path = _where(uri)
     if isinstance(store, fs.LocalFileSystem):
         index, ids = np.memmap(f"{path}.idx", "<i8", "r"), np.memmap(f"{path}.ids", kind, "r")
     else:
-        index, ids = (np.frombuffer(store.open_input_file(f"{path}.{end}").read(), k) for end, k in (("idx", "<i8"), ("ids", kind)))
+        index, ids = np.frombuffer(store.open_input_file(f"{path}.idx").read(), "<i8"), _Ranges(store.open_input_file(f"{path}.ids"), kind)
     n = int(index[0])
     return index[1 : n + 1], index[n + 1 :], ids
 
