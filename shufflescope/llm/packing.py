@@ -1,7 +1,8 @@
 """Packing into fixed windows by best-fit decreasing.
 
 A document's ids (and an end id) are cut into full windows first; what remains of each document is packed.  Pieces are
-dealt by a hash of their document into bins of about ``BIN_PIECES`` pieces, so no task grows with the corpus.  In a bin
+dealt by a hash of their document into bins of about ``BIN_PIECES`` pieces, so no task grows with the corpus; of pieces
+that are equal in all of doc_id, start and checksum more than that are dealt one by one.  In a bin
 the pieces come longest first, and a segment tree indexed by remaining capacity finds the tightest open window that
 still holds the piece: O(log window) each.  Bins of this size already leave well under a percent of padding.
 sequence_id is the bin's number times 2^32 plus the sequence's number in the bin: unique without a global count.
@@ -96,19 +97,29 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW,
 
 def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, end_id: int = END_ID, bin_pieces: int = BIN_PIECES) -> DataFrame:
     """Pieces with sequence_id and offset in it."""
-    cut = materialize(pieces(docs, vocabulary, window, end_id), "pieces")  # so that texts are encoded once
+    rows = pieces(docs, vocabulary, window, end_id).withColumn("_row", F.monotonically_increasing_id())
+    cut = materialize(rows, "pieces")  # so that texts are encoded once and a row keeps its number
     n_bins = max(1, -(-cut.count() // bin_pieces))
 
     def fill(table: pa.Table) -> pa.Table:
-        rows = table.drop_columns("_bin").to_pylist()
+        rows = table.select(_PIECES.names).to_pylist()
         first = int(table["_bin"][0].as_py()) << 32
         rows.sort(key=lambda r: (-r["length"], r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids_crc32"]))
         for r, (s, o) in zip(rows, best_fit_decreasing([r["length"] for r in rows], window), strict=True):
             r |= {"sequence_id": first + s, "offset": o}
         return pa.Table.from_pylist(rows, schema=_PACKED)
 
-    # the checksum deals repeated ids and null ids over several bins
-    dealt = cut.withColumn("_bin", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(n_bins)))
+    # the checksum deals repeated ids and null ids over several bins, the row's number what is equal
+    name = ["doc_id", "start", "ids_crc32"]
+    many = cut.groupBy(*name).agg(F.count("*").alias("c")).where(F.col("c") > bin_pieces).withColumnsRenamed({n: f"_{n}" for n in name})
+    if many.isEmpty():
+        salt = F.lit(None).cast("long")
+    else:
+        same = F.lit(True)
+        for n in name:
+            same &= F.col(n).eqNullSafe(F.col(f"_{n}"))
+        cut, salt = cut.join(many, same, "left"), F.when(F.col("c").isNotNull(), F.col("_row"))
+    dealt = cut.withColumn("_bin", F.pmod(F.xxhash64(*name, salt), F.lit(n_bins))).select(*_PIECES.names, "_bin")
     return dealt.groupBy("_bin").applyInArrow(fill, f"{_PIECE_DDL}, sequence_id long, offset long")
 
 

@@ -3,10 +3,11 @@
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -273,3 +274,69 @@ def test_one_of_each_decides_by_row(spark):
     assert kept.columns == docs_of(spark, []).columns
     got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
     assert got == sorted([(1, a), (2, b), (0, c.upper()), (3, d), (0, ""), (0, ""), (4, ""), (4, "")])
+
+
+def test_ftrl_equals_a_plain_one_over_dictionaries():
+    """Weights of the vectorised learner, one coordinate at a time (McMahan et al. 2013, algorithm 1)."""
+    from shufflescope.llm import toxicity as tx
+
+    rnd = np.random.default_rng(11)
+    rows = []
+    for _ in range(120):
+        label = float(rnd.random() < 0.3)
+        f = np.unique(np.concatenate([rnd.integers(0, 40, 12), rnd.integers(100, 110, 6 if label else 1)]).astype(np.uint32))
+        rows.append((f, label))
+    seen = {}
+    for f, _ in rows:
+        for x in f.tolist():
+            seen[x] = seen.get(x, 0) + 1
+    known, l1 = {x for x, c in seen.items() if c > 1}, tx.L1_RATE * len(rows) ** 0.5
+    z, n = dict.fromkeys([*known, "bias"], 0.0), dict.fromkeys([*known, "bias"], 0.0)
+
+    def weight(x):
+        own, l2 = (0.0, 0.0) if x == "bias" else (l1, tx.L2)
+        if abs(z[x]) <= own:
+            return 0.0
+        return (math.copysign(own, z[x]) - z[x]) / ((tx.BETA + math.sqrt(n[x])) / tx.ALPHA + l2)
+
+    for _ in range(tx.EPOCHS):
+        for f, label in rows:
+            at = [x for x in f.tolist() if x in known] + ["bias"]
+            w = {x: weight(x) for x in at}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - label) * (tx.POSITIVE if label else 1.0)
+            for x in at:
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / tx.ALPHA * w[x]
+                n[x] += g * g
+    want = {x: weight(x) for x in known if weight(x)}
+    columns, weights, bias = tx.train(rows)
+    assert set(columns.tolist()) == set(want) and 0 < len(want) < len(known)
+    assert bias == pytest.approx(weight("bias")) and all(w == pytest.approx(want[c]) for c, w in zip(columns.tolist(), weights.tolist(), strict=True))
+
+
+def test_packing_deals_equal_rows_over_bins(spark):
+    """Thousands of rows equal in every column, and null ids: no bin holds many more than the others."""
+    from shufflescope.llm.packing import pack
+
+    rows = [(7, "same words in every row")] * 3000 + [(None, "no id")] * 2000 + [(i, f"text {i}") for i in range(1000)]
+    out = pack(docs_of(spark, rows), bin_pieces=250).collect()
+    bins = Counter(r.sequence_id >> 32 for r in out)
+    assert len(out) == 6000 and len(bins) >= 20 and max(bins.values()) < 2.5 * 250
+    for s in {r.sequence_id for r in out}:
+        at = 0
+        for r in sorted((r for r in out if r.sequence_id == s), key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at <= 4096
+
+
+def test_token_files_deal_rows_of_one_id(spark, tmp_path):
+    """Rows without an id and equal rows are dealt over several shards; their order stays that of the ids."""
+    from shufflescope.llm.token_files import read_documents, write_tokens
+
+    rows = [(None, f"lost {i}") for i in range(3000)] + [(5, "one text")] * 3000 + [(i, "x") for i in range(6, 60)]
+    manifest = write_tokens(docs_of(spark, rows), f"file://{tmp_path}/t")
+    shards = manifest.collect()
+    assert max(s.n_docs for s in shards) < 0.6 * len(rows)
+    got = sorted(read_documents(manifest).collect(), key=lambda r: r.start)
+    assert len(got) == len(rows) and [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: -1 if i is None else i)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:], strict=False))
