@@ -21,7 +21,7 @@ result.  Extra columns are ignored here and kept by ``drop_contaminated``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize
@@ -61,12 +61,31 @@ def template(df: DataFrame) -> DataFrame:
     return _once(df, "_kind", F.transform("_word", canonical)).drop("_raw")
 
 
-def windows(df: DataFrame) -> DataFrame:
-    """One row for each window: _at its position, _hash of its template tokens."""
+def _hashable(df: DataFrame) -> tuple[DataFrame, Column]:
+    """Texts with a window at least, with _ids, and the hashes of the template tokens of their windows, in order."""
     n = F.size("_kind") - WINDOW + 1
     df = _once(df, "_ids", F.transform("_kind", lambda x: F.xxhash64(x)))
-    hashed = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get("_ids", i + k) for k in range(WINDOW))))
-    return df.where(n > 0).select("*", F.posexplode(hashed).alias("_at", "_hash")).drop("_ids")
+    return df.where(n > 0), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(F.get("_ids", i + k) for k in range(WINDOW))))
+
+
+def windows(df: DataFrame) -> DataFrame:
+    """One row for each window: _at its position, _hash of its template tokens."""
+    df, hashes = _hashable(df)
+    return df.select("*", F.posexplode(hashes).alias("_at", "_hash")).drop("_ids")
+
+
+def _meet(rows: DataFrame, hashes: Column, items: DataFrame, key: str) -> DataFrame:
+    """Rows of documents by position (_at) and of ``items``, joined on ``key``; ``hashes`` has a document's keys.
+
+    Few items are broadcast.  Else only keys and positions are shuffled, never a text's tokens; those come back to the
+    hits by one more join with the documents.
+    """
+    if items.count() <= BROADCAST_WINDOWS:
+        return rows.select("doc_id", "text_hash", "_word", F.posexplode(hashes).alias("_at", key)).join(F.broadcast(items), key)
+    at = rows.select("doc_id", "text_hash", F.posexplode(hashes).alias("_at", key))
+    hits = at.join(items, key).dropDuplicates(["doc_id", "text_hash", "_at", *(c for c in items.columns if c in (key, "item_id", "_item", "_ipos"))])
+    hits = hits.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"})
+    return rows.select("doc_id", "text_hash", "_word").join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
 
 
 def _slots():
@@ -128,8 +147,8 @@ def _whole(rows: DataFrame, items: DataFrame) -> DataFrame:
     for width, by_template in sorted(tuple(r) for r in items.select("_width", "_template").distinct().collect()):  # 10 at most
         mine = items.where((F.col("_width") == width) & (F.col("_template") == by_template))
         keys = _keys("_kind" if by_template else "_word", width)
-        met = rows.where(F.size("_word") >= width).select("*", F.posexplode(keys).alias("_at", "_key"))
-        met = met.join(F.broadcast(mine) if items.count() <= BROADCAST_WINDOWS else mine, "_key").withColumn("_pairs", F.array_distinct(_pairs(F.col("_at"))))
+        met = _meet(rows.where(F.size("_word") >= width), keys, mine, "_key")
+        met = met.withColumn("_pairs", F.array_distinct(_pairs(F.col("_at"))))
         met = met.where(_one_to_one(F.col("_pairs"))) if by_template else met
         changed = _changed(F.col("_pairs")) if by_template else F.lit(0)
         met = met.select("doc_id", "text_hash", "item_id", F.lit(1).cast("long").alias("n_windows"), F.lit(1).alias("_n"), changed.alias("changed"))
@@ -140,11 +159,9 @@ def _whole(rows: DataFrame, items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, item_windows, changed_slots of each document and item that match."""
     bench = materialize(item_windows(benchmark), "benchmark-windows")
-    if bench.count() <= BROADCAST_WINDOWS:
-        bench = F.broadcast(bench)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = template(rows).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    met = windows(rows).join(bench, "_hash").withColumn("_pairs", _pairs(F.col("_at"))).where(~F.col("_exact") | (_changed(F.col("_pairs")) == 0))
+    met = _meet(*_hashable(rows), bench, "_hash").withColumn("_pairs", _pairs(F.col("_at"))).where(~F.col("_exact") | (_changed(F.col("_pairs")) == 0))
     met = met.select("doc_id", "text_hash", "item_id", "_item", "_n", "_need", "_ipos", (F.col("_at") - F.col("_ipos")).alias("_shift"), "_pairs")
     # an alignment has at most the item's windows, so its sets are bounded by the item
     lined = met.groupBy("doc_id", "text_hash", "item_id", "_item", "_n", "_need", "_shift").agg(

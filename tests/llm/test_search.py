@@ -181,3 +181,18 @@ def test_pipeline_stages_keep_what_they_should(spark):
         before = after
     packed = corpus_pipeline.STAGES[-1][1](spark, current, SF)
     assert {r.doc_id for r in packed.collect()} == before
+
+
+def test_decontamination_without_broadcasts_gives_the_same(spark, monkeypatch):
+    """Large benchmarks are joined by a shuffle of keys and positions; one very long text, repeated rows, null ids."""
+    rnd = random.Random(8)
+    item = "If Anna buys 3 apples for 2 dollars each day how many apples does Anna keep at the end of 5 days"
+    long = prose(rnd, 20_000)
+    docs = [(1, long + " " + item + " " + long), (None, item.replace("Anna", "Maria").replace("3", "17")), (2, item), (2, item), (3, None), (4, "who wrote hamlet today"), (5, long)]
+    bench = [(7, item), (8, "Who wrote Hamlet?"), (9, None), (None, prose(rnd, 30))]
+    docs = spark.createDataFrame([(i, x, "en", "", "") for i, x in docs], DOCS)
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    find = lambda: sorted(map(repr, dc.contaminated(docs, bench).collect()))
+    want = find()
+    monkeypatch.setattr(dc, "BROADCAST_WINDOWS", 0)
+    assert find() == want and len(want) == 4
