@@ -55,7 +55,7 @@ def template(df: DataFrame) -> DataFrame:
     def canonical(w, i):
         lower = F.lower(w)
         capital = (w < "[") & (i > 0) & (w == F.get("_raw", i)) & (F.length(w) > 1) & (F.substring(w, 2, 1 << 20) == F.substring(lower, 2, 1 << 20))
-        unit = lower.isin(UNITS) & (i > 0) & (F.get("_word", i - 1) < ":")
+        unit = (i > 0) & (F.get("_word", i - 1) < ":") & lower.isin(UNITS)  # few tokens come after a number
         return F.when(w < ":", "#").when(capital, "@").when(unit, "%").otherwise(lower)
 
     return _once(df, "_kind", F.transform("_word", canonical)).drop("_raw")
@@ -74,18 +74,25 @@ def windows(df: DataFrame) -> DataFrame:
     return df.select("*", F.posexplode(hashes).alias("_at", "_hash")).drop("_ids")
 
 
-def _meet(rows: DataFrame, hashes: Column, items: DataFrame, key: str) -> DataFrame:
-    """Rows of documents by position (_at) and of ``items``, joined on ``key``; ``hashes`` has a document's keys.
+def _same(doc: str, text: str) -> Column:
+    return F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col("text_hash") == F.col(text))
 
-    Few items are broadcast.  Else only keys and positions are shuffled, never a text's tokens; those come back to the
-    hits by one more join with the documents.
+
+def _meet(docs: DataFrame, keyed, items: DataFrame, key: str) -> DataFrame:
+    """doc_id, text_hash and _word of documents, _at and the columns of ``items`` of all positions with an item's ``key``.
+
+    ``keyed`` gives a templated frame and its array of keys.  Only keys and positions are exploded, never a text's tokens:
+    a row for each window that carried these would cost the square of a text's length.  Documents with hits are then
+    read once more.  Few items are broadcast, else the keys are shuffled.
     """
-    if items.count() <= BROADCAST_WINDOWS:
-        return rows.select("doc_id", "text_hash", "_word", F.posexplode(hashes).alias("_at", key)).join(F.broadcast(items), key)
-    at = rows.select("doc_id", "text_hash", F.posexplode(hashes).alias("_at", key))
-    hits = at.join(items, key).dropDuplicates(["doc_id", "text_hash", "_at", *(c for c in items.columns if c in (key, "item_id", "_item", "_ipos"))])
-    hits = hits.withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"})
-    return rows.select("doc_id", "text_hash", "_word").join(hits, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_text")))
+    df, hashes = keyed(template(docs).drop("text"))
+    at = df.select("doc_id", "text_hash", F.posexplode(hashes).alias("_at", key))
+    found = at.join(F.broadcast(items) if items.count() <= BROADCAST_WINDOWS else items, key).distinct()
+    hits = materialize(found, "hits").withColumnsRenamed({"doc_id": "_doc", "text_hash": "_text"})
+    hit = hits.select(F.col("_doc").alias("_hit"), F.col("_text").alias("_hit_text")).distinct()
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_KEYS else hit
+    texts = template(docs.join(hit, _same("_hit", "_hit_text"), "left_semi")).select("doc_id", "text_hash", "_word")
+    return texts.join(hits, _same("_doc", "_text"))
 
 
 def _slots():
@@ -141,13 +148,13 @@ def _changed(pairs):
     return F.size(F.filter(pairs, lambda p: p["ours"] != p["theirs"]))
 
 
-def _whole(rows: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents (after ``template``) that hold one of ``whole_items``, as rows like those of ``contaminated``."""
+def _whole(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Documents that hold one of ``whole_items``, as rows like those of ``contaminated``."""
     found = None
     for width, by_template in sorted(tuple(r) for r in items.select("_width", "_template").distinct().collect()):  # 10 at most
         mine = items.where((F.col("_width") == width) & (F.col("_template") == by_template))
         keys = _keys("_kind" if by_template else "_word", width)
-        met = _meet(rows.where(F.size("_word") >= width), keys, mine, "_key")
+        met = _meet(docs, lambda df, keys=keys, width=width: (df.where(F.size("_word") >= width), keys), mine, "_key")
         met = met.withColumn("_pairs", F.array_distinct(_pairs(F.col("_at"))))
         met = met.where(_one_to_one(F.col("_pairs"))) if by_template else met
         changed = _changed(F.col("_pairs")) if by_template else F.lit(0)
@@ -159,9 +166,8 @@ def _whole(rows: DataFrame, items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, n_windows, item_windows, changed_slots of each document and item that match."""
     bench = materialize(item_windows(benchmark), "benchmark-windows")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = template(rows).withColumn("text_hash", F.xxhash64("text")).drop("text")
-    met = _meet(*_hashable(rows), bench, "_hash").withColumn("_pairs", _pairs(F.col("_at"))).where(~F.col("_exact") | (_changed(F.col("_pairs")) == 0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    met = _meet(rows, _hashable, bench, "_hash").withColumn("_pairs", _pairs(F.col("_at"))).where(~F.col("_exact") | (_changed(F.col("_pairs")) == 0))
     met = met.select("doc_id", "text_hash", "item_id", "_item", "_n", "_need", "_ipos", (F.col("_at") - F.col("_ipos")).alias("_shift"), "_pairs")
     # an alignment has at most the item's windows, so its sets are bounded by the item
     lined = met.groupBy("doc_id", "text_hash", "item_id", "_item", "_n", "_need", "_shift").agg(
