@@ -121,12 +121,14 @@ def _sizes(batches):
 
 
 def _runs(spans, n_bytes):
-    """Neighbouring (start, length) repeats merged, only runs of RUN bytes or more or of all the document's bytes."""
-    step = lambda acc, s: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] == s["start"]),
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), (s["start"] + s["length"]).alias("end")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), (s["start"] + s["length"]).alias("end")))))
-    runs = F.aggregate(spans, F.expr("cast(array() as array<struct<start:int,end:int>>)"), step)
+    """Neighbouring (start, length) repeats merged, only runs of RUN bytes or more or of all the document's bytes.
+
+    ``spans`` are sorted and apart, so a run begins where the span before ends earlier, and ends where the next begins
+    later: the k-th begin and the k-th end make a run, without a fold over the spans.
+    """
+    begins = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, i - 1)["start"] + F.get(spans, i - 1)["length"] != s["start"]))
+    ends = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] != s["start"] + s["length"]))
+    runs = F.zip_with(begins, ends, lambda b, e: F.struct(b["start"].alias("start"), (e["start"] + e["length"]).alias("end")))
     return F.filter(runs, lambda r: (r["end"] - r["start"] >= RUN) | (r["end"] - r["start"] == n_bytes))
 
 
