@@ -96,7 +96,8 @@ def test_random_strings_of_any_alphabet_are_secrets():
     tokens = secret_scan.vocabulary(path_of("byte_bpe_50k.tiktoken"))
     rnd = random.Random(3)
     lower = "abcdefghijklmnopqrstuvwxyz"
-    for letters, most in ((lower.upper() + "234567", 0.02), (lower.upper() + "0123456789", 0.02), (lower.upper(), 0.02), (lower, 0.15)):
+    every = lower.upper() + lower + "0123456789"
+    for letters, most in ((every + "+/", 0.02), (every + "-_", 0.02), (every, 0.02), (lower + "0123456789", 0.03), (lower.upper() + "234567", 0.02), (lower.upper() + "0123456789", 0.02), (lower.upper(), 0.02), (lower, 0.15)):
         for n in (20, 24, 32, 52):
             keys = ["".join(rnd.choice(letters) for _ in range(n)) for _ in range(300)]
             missed = [k for k in keys if secret_scan.redact(f"see {k} there", tokens) != "see <SECRET> there"]
@@ -163,6 +164,60 @@ def test_toxicity_learns_and_handles_edges(spark):
     assert toxicity.toxicity(docs_of(spark, []), labels).count() == 0
 
 
+def plain_ftrl(rows, l1):
+    """McMahan et al.'s update on dictionaries, one coordinate at a time."""
+    seen = defaultdict(int)
+    for f, _ in rows:
+        for i in f:
+            seen[i] += 1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        bare = i == "bias"
+        if abs(z[i]) <= (0 if bare else l1):
+            return 0.0
+        return ((0 if bare else math.copysign(l1, z[i])) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + (0 if bare else toxicity.L2))
+
+    for _ in range(toxicity.EPOCHS):
+        for f, label in rows:
+            active = {i: weight(i) for i in [*(i for i in f if seen[i] > 1), "bias"]}
+            error = (1 / (1 + math.exp(-sum(active.values()))) - label) * (toxicity.POSITIVE if label else 1.0)
+            for i, w in active.items():
+                rate = (math.sqrt(n[i] + error * error) - math.sqrt(n[i])) / toxicity.ALPHA
+                z[i] += error - rate * w
+                n[i] += error * error
+    return {i: weight(i) for i in z if weight(i)}
+
+
+def test_training_equals_plain_ftrl():
+    rnd = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(400):
+        label = float(k % 4 == 0)
+        text = " ".join(rnd.choice(words[: 25 if label else 60]) for _ in range(rnd.randint(0, 12)))
+        rows.append((np.unique(toxicity.features([text])[1]), label))
+    columns, weights, bias = toxicity.train(rows)
+    want = plain_ftrl([(f.tolist(), label) for f, label in rows], toxicity.L1_RATE * len(rows) ** 0.5)
+    assert abs(want.pop("bias") - bias) < 1e-9
+    got = dict(zip(columns.tolist(), weights.tolist(), strict=True))
+    assert got.keys() == want.keys() and 5 < len(got) < 0.2 * len({i for f, _ in rows for i in f.tolist()})
+    assert all(abs(got[i] - w) < 1e-9 for i, w in want.items())
+
+
+def test_scores_equal_plain_sums(spark):
+    """Every row by its own: the bias and the weights of its distinct words, pairs and pairs that skip a word."""
+    texts = ["", "a b a b a b", "A, b! c", "c b a", "no known ones", "a " * 4000]
+    every = np.unique(toxicity.features(["a b c"])[1])
+    model = (every, np.linspace(-1, 1, len(every)), -0.25)
+    known = dict(zip(every.tolist(), model[1].tolist(), strict=True))
+    docs = docs_of(spark, [*enumerate(texts), (None, None), (2, texts[2])])
+    got = sorted((repr(r.doc_id), r.score) for r in toxicity.score(docs, model).collect())
+    plain = lambda t: 1 / (1 + math.exp(-(-0.25 + sum(known.get(f, 0) for f in set(toxicity.features([t])[1].tolist())))))
+    want = sorted((repr(i), plain(t or "")) for i, t in [*enumerate(texts), (None, None), (2, texts[2])])
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-12)
+
+
 def words_of(t):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 

@@ -183,6 +183,20 @@ def test_pipeline_stages_keep_what_they_should(spark):
     assert {r.doc_id for r in packed.collect()} == before
 
 
+def test_pipeline_stages_take_any_rows(spark):
+    """No rows at all; and nulls, empty texts, repeated rows and a column whose name an operator uses."""
+    empty = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    odd = spark.createDataFrame([(None, None, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (6, "one two three", "x"), (6, "one two three", "x"), (7, "word " * 3000, "x")], "doc_id long, text string, score string")
+    for docs, left in ((empty, set()), (odd, {None, 4, 5, 6, 7})):
+        names = docs.schema.names
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, SF)
+            assert docs.schema.names == names
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+        assert {r.doc_id for r in packed} == left
+        assert sum(r.doc_id == 6 for r in packed) == (1 if left else 0)
+
+
 def test_decontamination_without_broadcasts_gives_the_same(spark, monkeypatch):
     """Large benchmarks are joined by a shuffle of keys and positions; one very long text, repeated rows, null ids."""
     rnd = random.Random(8)
