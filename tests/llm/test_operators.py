@@ -6,10 +6,12 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shufflescope.llm import packing, secret_scan, token_files, toxicity, wordhash
@@ -309,6 +311,64 @@ def test_prefix_signatures_meet_whenever_sets_link():
                 assert len(np.intersect1d(a, b)), (share, n)
 
 
+def test_components_of_edges_that_each_evaluation_makes_anew(spark):
+    """Links that others imply are left out, so another evaluation may give another spanning tree."""
+    from shufflescope.llm.components import components
+
+    def tree(batches):
+        rnd = random.Random()
+        for b in batches:
+            nodes = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([i + 1 for i in nodes], pa.int64()), pa.array([rnd.randint(0, i) for i in nodes], pa.int64())], names=["a", "b"])
+
+    got = components(spark.range(60).mapInArrow(tree, "a long, b long")).collect()
+    assert sorted((r.node, r.label) for r in got) == [(i, 0) for i in range(61)]
+
+
+def test_jaccard_join_of_many_ids_moves_no_texts(spark, monkeypatch):
+    from shufflescope.llm import jaccard_join
+
+    rows = near_copies(6) + [(None, "a b c"), (None, "A b  c"), (9000, None), (9001, "")]
+    docs = docs_of(spark, rows)
+    few = sorted(map(str, jaccard_join.one_of_each(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    got = [(r.doc_id or 0, r.n_shingles, r.component_id or -1) for r in jaccard_join.jaccard_classes(docs).collect()]
+    assert sorted(got) == sorted((b, c, d or -1) for _, b, c, d in brute_classes(rows))
+    assert sorted(map(str, jaccard_join.one_of_each(docs).collect())) == few
+    join = jaccard_join.Join(docs)
+    asked = join.nodes.where("node is not null").select("node", "doc_id")
+    assert "LeftSemi" not in join._sets_of(asked)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_id_filter_lets_its_own_pass():
+    from shufflescope.llm.jaccard_join import IdFilter
+
+    own = pa.chunked_array([pa.array([*range(-500, 500), None], pa.int64())])
+    assert IdFilter(own)(own.combine_chunks()).all()
+    others = pa.array([*range(1000, 11000), None], pa.int64())
+    assert IdFilter(own)(others)[:-1].mean() < 0.1
+    assert not IdFilter(own.slice(0, 1000))(others)[-1]
+    assert not IdFilter(own.slice(0, 0))(others).any()
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    from shufflescope.llm import common
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        files = blocks.getAllFiles()
+        return {n for i in range(files.size()) if (n := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffles()
+    rows = common.materialize(spark.range(1000).repartition(3, "id"), "shuffled")
+    end = time.time() + 20
+    while shuffles() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffles() - before
+    assert rows.count() == 1000
+
+
 def test_one_of_each_keeps_columns(spark):
     from shufflescope.llm.jaccard_join import jaccard_classes, one_of_each
 
