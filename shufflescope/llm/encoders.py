@@ -96,7 +96,7 @@ class ByteEncoder(Encoder):
 
     cut = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
     lead = " "
-    entries = 2 * PRE_ENTRIES, 2 * CHUNK_ENTRIES  # nothing else runs beside it that needs the memory
+    entries = 4 * PRE_ENTRIES, 4 * CHUNK_ENTRIES  # nothing else runs beside it that needs the memory
     spaced = re.compile(r" (?:\s|\Z)")
 
     def encode(self, text: str) -> bytes:
